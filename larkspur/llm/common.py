@@ -23,3 +23,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name like ``base`` that ``df`` does not use, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{base}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
