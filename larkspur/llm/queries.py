@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, pii, secrets, simhash, urls
+from larkspur.llm import chat, langid, packing, pii, secrets, simhash, token_counts, urls
 from larkspur.llm.common import table
 from larkspur.llm.spans import label_spans, span_text
 
@@ -48,13 +48,28 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[_n(F.col(k)).alias(f"n_{k}") for k in pii.KINDS], F.sha2(span_text(F.sort_array(base)), 256).alias("base_sha256"), span_text(F.sort_array(F.concat(base, more))).alias("spans"))
 
 
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # The digest takes the place of the ids before pieces meet in their shards, so ids are not shuffled.
+    pieces = packing.tokenize(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.assign_windows(pieces, docs.count())
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urls.judge_urls(pages, urls.repeated_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_chat_format, op4_simhash, op5_pii, op9_url_filter)
+    f.__name__: f for f in (op1_secret_scan, op3_chat_format, op4_simhash, op5_pii, op6_pack, op8_language, op9_url_filter, op10_token_counts)
 }
 
 
