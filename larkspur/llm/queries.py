@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, langid, packing, pii, secrets, simhash, token_counts, urls
+from larkspur.llm import chat, embeddings, langid, packing, pii, secrets, simhash, token_counts, urls
 from larkspur.llm.common import table
 from larkspur.llm.spans import label_spans, span_text
 
@@ -25,6 +25,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(whole).alias("spans"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", planted), (-1, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
@@ -69,7 +73,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_chat_format, op4_simhash, op5_pii, op6_pack, op8_language, op9_url_filter, op10_token_counts)
+    f.__name__: f for f in (op1_secret_scan, op2_embedding_dedup, op3_chat_format, op4_simhash, op5_pii, op6_pack, op8_language, op9_url_filter, op10_token_counts)
 }
 
 
