@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, embeddings, langid, packing, pii, secrets, simhash, token_counts, urls
+from larkspur.llm import chat, decontaminate, embeddings, langid, packing, pii, secrets, simhash, token_counts, urls
 from larkspur.llm.common import table
 from larkspur.llm.spans import label_spans, span_text
 
@@ -59,6 +59,10 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign_windows(pieces, docs.count())
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_embedding_dedup, op3_chat_format, op4_simhash, op5_pii, op6_pack, op8_language, op9_url_filter, op10_token_counts)
+    f.__name__: f for f in (op1_secret_scan, op2_embedding_dedup, op3_chat_format, op4_simhash, op5_pii, op6_pack, op7_decontaminate, op8_language, op9_url_filter, op10_token_counts)
 }
 
 

@@ -8,6 +8,7 @@ functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,15 @@ def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def _long_enough(least: int) -> Callable[[Column], Column]:
+    return lambda s: F.length(s["part"]) >= least
+
+
+def _marked(rule: Rule) -> Callable[[Column], Column]:
+    """What of a span goes, with the rule's name: of an assignment the value, which is the match's end."""
+    return lambda s: F.struct((s["end"] - F.length(s["part"])).alias("start"), s["end"].alias("end"), F.lit(rule.name).alias("kind"))
+
+
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
     """``(blob, found map<rule key, spans>)`` for blobs and rule versions that ``ledger`` lacks.
 
@@ -67,7 +77,7 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFr
     for r in rules:
         spans = find_spans(F.col("text"), r.pattern, r.group)
         if r.least:
-            spans = F.filter(spans, lambda s, least=r.least: F.length(s["part"]) >= least)
+            spans = F.filter(spans, _long_enough(r.least))
         if seen is not None:
             spans = F.when(~F.array_contains(seen, r.key), spans)
         entries.append(spans.alias(r.key))
@@ -146,13 +156,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, .
     """
     blob, found = free_name(docs, "blob"), free_name(docs, "found")
     scanned = scan_blobs(distinct_blobs(docs, text_col), rules)
-    spans = [
-        F.transform(
-            F.col(f"`{r.key}`"),
-            lambda s, r=r: F.struct((s["end"] - F.length(s["part"])).alias("start"), s["end"].alias("end"), F.lit(r.name).alias("kind")),
-        )
-        for r in rules
-    ]
+    spans = [F.transform(F.col(f"`{r.key}`"), _marked(r)) for r in rules]
     hits = scanned.select(F.col("blob").alias(blob), F.sort_array(F.concat(*spans)).alias(found)).where(F.size(found) > 0)
     own = docs.withColumn(blob, blob_id(F.col(text_col).cast("string"))).join(hits, blob, "left")
     text = F.col(text_col)
