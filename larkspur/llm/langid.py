@@ -145,6 +145,9 @@ def train(texts: list[bytes], langs: list[str], steps: int = STEPS, seed: int =
 def _position_sums(net: Network, forward: np.ndarray, backward: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sum over a segment's positions of their probabilities, L x B; byte arrays are T x B, the second reversed.
 
+    Segments come longest first. A shorter one stands at the start of the first array and at the end of the
+    second, so its backward state is held at zero until its own last byte.
+
     Gates live in arrays of their own, so that every step runs over contiguous memory. A sigmoid is half of one
     plus the tanh of half its argument; the halves are folded into the weights.
     """
@@ -156,6 +159,7 @@ def _position_sums(net: Network, forward: np.ndarray, backward: np.ndarray, size
     hs[0] = 0
     x = [np.empty((2, b, u), np.float32) for _ in range(3)]
     g, d = np.empty((2, b, u), np.float32), np.empty((2, b, u), np.float32)
+    begun = (sizes[None, :] >= t - np.arange(t)[:, None]).sum(axis=1)
     for i in range(t):
         for table, own in zip(tables, x, strict=True):
             np.take(table[0], forward[i], axis=0, out=own[0], mode="clip")
@@ -177,6 +181,8 @@ def _position_sums(net: Network, forward: np.ndarray, backward: np.ndarray, size
         np.subtract(h, n, out=d)
         d *= z
         np.add(d, n, out=hs[i + 1])
+        if begun[i] < b:
+            hs[i + 1, 1, begun[i] :] = 0
     total = np.zeros((len(net.langs), b))
     # The backward unit has read position i, from the right, after t - i steps.
     for at in range(0, t, 32):
