@@ -285,9 +285,10 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.4) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
     """The rows of ``docs``, with their own columns, whose language is known with a score of ``least`` or more.
 
+    The default rejects little more than texts without letters: short clean texts may score low.
     The predictor runs beside the rows, so no join is needed and repeated or null ids change nothing.
     """
     net = fit(docs, id_col, text_col, lang_col)
