@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import free_name
+from larkspur.llm.common import cut_lineage, free_name
 from larkspur.llm.spans import find_spans
 
 LEDGER = "blob string, rule string, version int, spans array<struct<start:bigint,end:bigint,hit:string,part:string>>"
@@ -113,14 +113,14 @@ def scan_incremental(spark: SparkSession, docs: DataFrame, ledger_path: str, tex
 def join_findings(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row for every row of ``docs``: its id and, by rule, the spans of its blob (null: none).
 
-    Only blobs with a finding take part in the join; a blob that very many paths share is split by Spark's
-    skew handling, since it is hot on the side of the paths only.
+    Only blobs with a finding take part in the join, and they come from a stored table as the ledger does: a
+    blob that very many paths share is hot on the side of the paths only, whose partitions Spark can split.
     """
     keys = [f"`{r.key}`" for r in rules]
     hit = F.lit(False)
     for k in keys:
         hit = hit | (F.size(F.coalesce(F.col(k), F.array())) > 0)
-    found = scanned.where(hit).select("blob", *[F.col(k).alias(r.name) for k, r in zip(keys, rules, strict=True)])
+    found = cut_lineage(scanned.where(hit).select("blob", *[F.col(k).alias(r.name) for k, r in zip(keys, rules, strict=True)]))
     paths = docs.select(F.col(id_col).cast("long").alias("doc_id"), blob_id(F.col(text_col).cast("string")).alias("blob"))
     return paths.join(found, "blob", "left").drop("blob")
 
@@ -157,7 +157,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, .
     blob, found = free_name(docs, "blob"), free_name(docs, "found")
     scanned = scan_blobs(distinct_blobs(docs, text_col), rules)
     spans = [F.transform(F.col(f"`{r.key}`"), _marked(r)) for r in rules]
-    hits = scanned.select(F.col("blob").alias(blob), F.sort_array(F.concat(*spans)).alias(found)).where(F.size(found) > 0)
+    hits = cut_lineage(scanned.select(F.col("blob").alias(blob), F.sort_array(F.concat(*spans)).alias(found)).where(F.size(found) > 0))
     own = docs.withColumn(blob, blob_id(F.col(text_col).cast("string"))).join(hits, blob, "left")
     text = F.col(text_col)
     return own.withColumn(text_col, F.when(F.col(found).isNull(), text).otherwise(_redacted(text, F.col(found)))).drop(blob, found)
