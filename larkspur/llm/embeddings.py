@@ -208,7 +208,9 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     keys = ["label", "size", "cell"]
     stored = placed.withColumn("cell", F.col("home")).select(base).join(crowd, keys).select("*", part_of.alias("row"), every.alias("column"), F.lit(False).alias("visit"))
     visitors = placed.withColumn("cell", F.explode("cells")).select(base).join(crowd, keys).select("*", every.alias("row"), part_of.alias("column"), F.lit(True).alias("visit"))
-    met = stored.unionByName(visitors).groupBy("label", "size", "cell", "row", "column").applyInPandas(_compare(grids, threshold), "id long, links long, low long")
+    # The joins leave a cell's rows together, which would satisfy the grouping; chunk pairs must part again.
+    pair = [*keys, "row", "column"]
+    met = stored.unionByName(visitors).repartition(*pair).groupBy(*pair).applyInPandas(_compare(grids, threshold), "id long, links long, low long")
     met = cut_lineage(met)
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(met.select(F.col("id").alias("a"), F.col("low").alias("b")))
