@@ -38,8 +38,9 @@ class Rule:
 
 #: Fixed values of the contract, written so that Java's matcher needs no backtracking over long runs: a run
 #: of the class shorter than the least length fails as a whole, so counted repeats find the same spans.
+#: The keywords' case is folded as the SQL folds it: the long s and the Kelvin sign are case forms of s and k.
 RULES = (
-    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)""", 2, 6),
+    Rule("assign", r"""(?i:(pa[s\u017f][s\u017f]word|pa[s\u017f][s\u017f]wd|[s\u017f]ecret|to[k\u212a]en|api_?[k\u212a]ey))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]{16,}+"),
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}+"),
     Rule("private_key", r"-----BEGIN (?:[A-Z]{2,10} ){0,2}PRIVATE KEY-----", base=False),
