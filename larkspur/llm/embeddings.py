@@ -201,7 +201,8 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         sample = classes.where(F.col("size") == row["size"]).orderBy(F.xxhash64("vector"), "id").limit(SAMPLE).select("vector").toPandas()
         grids[row["size"]] = fit_grid(unit_rows(np.stack(sample["vector"].to_list())), row["n"], threshold, target)
     placed = cut_lineage(classes.mapInPandas(_assign(grids), ", ".join(f"{c} {t}" for c, t in classes.dtypes) + ", home long, cells array<long>"))
-    crowd = placed.groupBy("label", "size", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    # A stored table, so that Spark can split the rows of a hot cell where they meet its count.
+    crowd = cut_lineage(placed.groupBy("label", "size", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
     part_of = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     base = ["label", "size", "cell", "id", "vector", "copies", "home"]
