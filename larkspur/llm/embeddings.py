@@ -29,7 +29,7 @@ from larkspur.llm.components import connected_components
 SAMPLE = 10_000
 #: Share of partners at the threshold that the traversal must meet.
 TARGET_RECALL = 0.9995
-#: Stored vectors of a cell that are compared in one task, and the grid's cells for so many vectors.
+#: Vectors of either side of a cell that one task compares, on average, and the grid's cells for so many vectors.
 CHUNK, PER_CELL, MOST_CODES = 1024, 100, 512
 
 
@@ -201,14 +201,17 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         sample = classes.where(F.col("size") == row["size"]).orderBy(F.xxhash64("vector"), "id").limit(SAMPLE).select("vector").toPandas()
         grids[row["size"]] = fit_grid(unit_rows(np.stack(sample["vector"].to_list())), row["n"], threshold, target)
     placed = cut_lineage(classes.mapInPandas(_assign(grids), ", ".join(f"{c} {t}" for c, t in classes.dtypes) + ", home long, cells array<long>"))
-    # A stored table, so that Spark can split the rows of a hot cell where they meet its count.
-    crowd = cut_lineage(placed.groupBy("label", "size", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
-    part_of = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    base = ["label", "size", "cell", "id", "vector", "copies", "home"]
+    # Both sides of a cell are counted: few stored vectors may have very many visitors. The counts are a stored
+    # table, so that Spark can split the rows of a hot cell where they meet them.
+    visiting = placed.withColumn("cell", F.explode("cells"))
+    crowd = visiting.groupBy("label", "size", "cell").agg(F.count_if(F.col("home") == F.col("cell")).alias("stored"), F.count("*").alias("visitors"))
+    crowd = cut_lineage(crowd.where("stored > 0").select("label", "size", "cell", *[F.ceil(F.col(n) / CHUNK).cast("int").alias(n) for n in ("stored", "visitors")]))
     keys = ["label", "size", "cell"]
-    stored = placed.withColumn("cell", F.col("home")).select(base).join(crowd, keys).select("*", part_of.alias("row"), every.alias("column"), F.lit(False).alias("visit"))
-    visitors = placed.withColumn("cell", F.explode("cells")).select(base).join(crowd, keys).select("*", every.alias("row"), part_of.alias("column"), F.lit(True).alias("visit"))
+    base = [*keys, "id", "vector", "copies", "home"]
+    part_of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stored = placed.withColumn("cell", F.col("home")).select(base).join(crowd, keys).select(*base, part_of("stored").alias("row"), every("visitors").alias("column"), F.lit(False).alias("visit"))
+    visitors = visiting.select(base).join(crowd, keys).select(*base, every("stored").alias("row"), part_of("visitors").alias("column"), F.lit(True).alias("visit"))
     # The joins leave a cell's rows together, which would satisfy the grouping; chunk pairs must part again.
     pair = [*keys, "row", "column"]
     met = stored.unionByName(visitors).repartition(*pair).groupBy(*pair).applyInPandas(_compare(grids, threshold), "id long, links long, low long")
