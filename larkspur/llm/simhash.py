@@ -15,10 +15,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut_lineage
+from larkspur.llm.common import cut_lineage, free_name
 from larkspur.llm.components import connected_components
 
 SEED = 42
@@ -51,7 +51,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
         found = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        rest = batch.schema.names[2:]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *map(batch.column, rest)], ["doc_id", "fp", *rest])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,6 +61,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return own.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def row_key(row_id: Column, text: Column) -> Column:
+    """A digest that only rows of one id (or none) and one text (or none) share."""
+    text = text.cast("string")
+    parts = [F.coalesce(row_id.cast("long").cast("string"), F.lit("null")), F.when(text.isNull(), ":null").otherwise(":"), F.coalesce(text, F.lit(""))]
+    return F.sha2(F.concat(*parts), 256)
+
+
 def ball(radius: int) -> list[int]:
     """XOR masks of all words within ``radius`` bits of zero, as signed 64-bit numbers."""
     masks = [sum(1 << i for i in bits) for k in range(radius + 1) for bits in combinations(range(64), k)]
@@ -77,6 +85,12 @@ def fingerprint_links(distinct_fp: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= radius).select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
 
 
+def _with_roots(distinct_fp: DataFrame, radius: int) -> DataFrame:
+    """``distinct_fp`` with ``root``, the fingerprint that names each one's component."""
+    near = connected_components(fingerprint_links(distinct_fp, radius))
+    return distinct_fp.join(near.withColumnRenamed("node", "fp"), "fp", "left").select(*distinct_fp.columns, F.coalesce("component", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row for every row of ``docs``.
 
@@ -88,18 +102,24 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     marked = cut_lineage(fingerprints(docs, id_col, text_col))
     distinct_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    near = connected_components(fingerprint_links(distinct_fp, radius))
-    named = distinct_fp.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    named = _with_roots(distinct_fp, radius)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(smallest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-duplicate group, with their own columns.
+    """One row of every near-duplicate group of ``docs``, with its own columns.
 
-    Repeated rows of one id leave one row. Rows whose id is null stay only if no group member has an id.
+    It is the row of the smallest id, a null id last, and of these that of the smallest ``row_key``; so rows whose
+    id is null stay only if no group member has an id, and groups without ids or with one id keep a row each.
+    Rows that share id and text are one document, which leaves one row.
     """
-    found = simhash_components(docs, id_col, text_col, radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+    key = free_name(docs, "row_key")
+    keyed = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
+    own = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(key).alias("row_key"))
+    marked = cut_lineage(own.mapInArrow(_fingerprints, "doc_id long, fp long, row_key string"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_key"))
+    named = _with_roots(marked.groupBy("fp").agg(F.min(order).alias("first")), radius)
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias(key))
+    return keyed.dropDuplicates([key]).join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -78,6 +78,16 @@ def test_null_ids_and_empty(spark):
         simhash.fingerprint_links(df, 3)
 
 
+def test_null_and_shared_ids_keep_a_row_of_each_group(spark):
+    near = " ".join(f"w{k}" for k in range(200))
+    rows = [(None, "a b c d"), (None, "a b c d"), (None, "e f g h i"), (None, None), (None, near), (9, near), (4, "q r s t u"), (4, "v w x y z"), (4, "v w x y z"), (5, "Q r s t u")]
+    df = spark.createDataFrame([(*r, {"k": 1}) for r in rows], "doc_id long, text string, row_key map<string,int>").repartition(5)
+    kept = simhash.keep_one_per_component(df)
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    want = [(None, "a b c d"), (None, "e f g h i"), (None, None), (9, near), (4, "q r s t u"), (4, "v w x y z")]
+    assert kept.columns == df.columns and got == sorted(want, key=str)
+
+
 def test_all_pairs_within_two_bits_meet(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(30)]
