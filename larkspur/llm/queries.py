@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import chat, decontaminate, embeddings, langid, packing, pii, secrets, simhash, token_counts, urls
 from larkspur.llm.common import table
-from larkspur.llm.spans import label_spans, span_text
+from larkspur.llm.spans import span_text
 
 
 def _n(spans: Column) -> Column:
@@ -17,12 +17,16 @@ def _n(spans: Column) -> Column:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
-    each = {r.name: F.when(F.col(r.name).isNull(), F.array()).otherwise(label_spans(r.name, i, F.col(r.name))) for i, r in enumerate(secrets.RULES)}
-    base = F.sort_array(F.concat(*[each[r.name] for r in secrets.RULES if r.base]))
-    whole = F.sort_array(F.concat(*each.values()))
-    counts = [F.when(F.col(r.name).isNull(), 0).otherwise(F.size(r.name)).cast("long").alias(f"n_{r.name}") for r in secrets.RULES if r.base]
-    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(whole).alias("spans"))
+    """Secrets of all documents, through a new ledger; see ``secrets.scan_secrets`` for the cases."""
+    names = [r.name for r in secrets.RULES]
+    kind = lambda s: F.substring_index(s["key"], "@", 1)
+    shape = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.lit(names), kind(s)).cast("int").alias("kind_order"), s["end"].alias("end"), kind(s).alias("kind"))
+    whole = F.sort_array(F.transform(F.coalesce("findings", F.array().cast(secrets.FOUND)), shape))
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents")).select("doc_id", whole.alias("whole"))
+    base = F.filter("whole", lambda s: s["kind"].isin([r.name for r in secrets.RULES if r.base]))
+    of_kind = lambda name: lambda s: s["kind"] == name
+    counts = [F.size(F.filter("whole", of_kind(r.name))).cast("long").alias(f"n_{r.name}") for r in secrets.RULES if r.base]
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("whole")).alias("spans"))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

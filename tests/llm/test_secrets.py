@@ -46,21 +46,48 @@ def test_brute_force(spark, docs, tmp_path):
 
 def test_added_rules(spark):
     d = spark.createDataFrame([(1, "-----BEGIN RSA PRIVATE KEY-----\nxx"), (2, "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefghij")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in secrets.scan_secrets(d).collect()}
-    assert got[1]["private_key"][0]["start"] == 0 and got[2]["web_token"][0]["end"] == 36
+    got = {r["doc_id"]: [(f["key"].split("@")[0], f["start"], f["end"]) for f in r["findings"]] for r in secrets.scan_secrets(d).collect()}
+    assert got == {1: [("private_key", 0, 31)], 2: [("web_token", 0, 36)]}
 
 
 def test_ledger_is_incremental(spark, docs, tmp_path):
-    path = str(tmp_path / "ledger")
+    path, blobs = str(tmp_path / "ledger"), len({t or "" for t in TEXTS})
     first = secrets.scan_incremental(spark, docs, path)
-    n = first.count()
-    assert n == len(set(t or "" for t in TEXTS)) * len(secrets.RULES)
-    assert secrets.scan_incremental(spark, docs, path).count() == n
-    newer = (*secrets.RULES[:-1], secrets.Rule("web_token", "eyJ", version=2, base=False))
+    assert first.count() == blobs and all(len(r["keys"]) == len(secrets.RULES) for r in first.collect())
+    # All pairs are known: nothing is scanned again, and the findings are the same.
+    assert secrets.unseen(docs, first).count() == 0
+    assert secrets.scan_incremental(spark, docs, path).count() == blobs
+    again = secrets.scan_secrets(docs, ledger_path=path)
+    assert sorted(map(str, again.collect())) == sorted(map(str, secrets.scan_secrets(docs).collect())) and spark.read.parquet(path).count() == blobs
+    # An edited pattern is a new version: only that rule is due on known blobs, all rules on a new one.
+    newer = (*secrets.RULES[:-1], secrets.Rule("web_token", "eyJ", base=False))
     more = spark.createDataFrame([(5, "eyJ token=abcdefg")], "doc_id long, text string").union(docs.select("doc_id", "text"))
-    again = secrets.scan_incremental(spark, more, path, rules=newer)
-    assert again.where("version = 2").count() == n // len(secrets.RULES) + 1
-    assert again.count() == n + n // len(secrets.RULES) + len(newer)
+    due = {r["blob"]: r["due"] for r in secrets.unseen(more, spark.read.parquet(path), rules=newer).collect()}
+    assert sorted(len(x) for x in due.values()) == [1] * blobs + [len(newer)] and all(newer[-1].key in x for x in due.values())
+    found = secrets.scan_secrets(more, rules=newer, ledger_path=path).where("doc_id = 5 and size(findings) = 2").collect()
+    assert [(f["key"].split("@")[0], f["start"]) for f in found[0]["findings"]] == [("assign", 4), ("web_token", 0)]
+    # A pair that two runs appended counts once.
+    spark.read.parquet(path).write.mode("append").parquet(str(tmp_path / "twice"))
+    spark.read.parquet(path).write.mode("append").parquet(str(tmp_path / "twice"))
+    twice = secrets.join_findings(docs, spark.read.parquet(str(tmp_path / "twice")))
+    assert sorted(map(str, twice.collect())) == sorted(map(str, secrets.scan_secrets(docs).collect()))
+
+
+def test_paths_and_versions(spark):
+    rows = [("a.py", 1, "token=abcdefg"), ("a.py", 2, "clean"), ("b.py", 1, "token=abcdefg")]
+    found = secrets.scan_secrets(spark.createDataFrame(rows, "path string, version int, text string"), ("path", "version")).collect()
+    assert {(r["path"], r["version"]) for r in found if r["findings"]} == {("a.py", 1), ("b.py", 1)} and len(found) == 3
+
+
+def test_very_many_matches(spark, tmp_path):
+    n = 200_000
+    texts = ["token=abcdef " * n, "nothing"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op1_secret_scan(spark, str(tmp_path)).collect()}
+    assert got[0]["n_assign"] == n and got[0]["base_sha256"] == digest(brute(texts[0])) and got[1]["n_assign"] == 0
+    out = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(d).collect()}
+    assert out[0] == "token=[assign] " * n and out[1] == "nothing"
 
 
 def test_redaction(spark, docs):
@@ -69,6 +96,8 @@ def test_redaction(spark, docs):
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     assert got[0] is None and got[2] == "nothing" and got[3] == "é token = '[assign]' and [access]" and got[9] == "[hex] [hex]g[hex]"
     assert secrets.redact_secrets(docs.limit(0)).count() == 0
+    odd = spark.createDataFrame([("token=AKIA" + "B1" * 9, "x", "y")], "text string, _blob string, _findings string")
+    assert secrets.redact_secrets(odd).collect() == [("token=[access]", "x", "y")]
 
 
 def test_empty(spark, docs):
