@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -65,3 +66,8 @@ def free_name(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def texts_of(column: pa.Array) -> list[str | None]:
+    """Python strings of a column; bytes that are no UTF-8, which Spark lets pass, become U+FFFD."""
+    return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
