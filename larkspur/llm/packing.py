@@ -2,8 +2,9 @@
 
 Texts become token ids on the executors; documents longer than a window are first cut into full windows, and
 what remains of each is placed, longest first, in the open window with the least room that suffices. A
-segment tree indexed by remaining capacity finds it. Placement runs in shards of bounded size, so windows
-are chosen among thousands of documents, never in one task for all.
+segment tree indexed by remaining capacity finds it. A full window needs no placement and is numbered where it is
+stored. The rest, at most one piece a document, is dealt to shards of bounded size, so windows are chosen
+among thousands of documents, never in one task for all.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import cut_lineage, texts_of
+
 WINDOW = 1024
 #: Id that ends every document.
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-#: Documents that meet in one shard of the placement, on average.
-SHARD_DOCS = 8192
+#: Pieces that meet in one shard of the placement: so many and one for each partition of the stored pieces at most.
+SHARD_PIECES = 8192
 #: Words whose ids a Python worker remembers at most.
 REMEMBERED = 600_000
 
@@ -106,8 +109,8 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 rows: list[tuple] = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    ids = token_bytes(text.as_py()) + close
+                for doc, text in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
+                    ids = token_bytes(text) + close
                     n = len(ids) // 4
                     rows += [(doc, s, min(window, n - s), ids[4 * s : 4 * (s + window)], n) for s in range(0, n, window)]
                 doc, start, length, ids, total = zip(*rows, strict=True)
@@ -168,45 +171,78 @@ def place(lengths: list[int], window: int = WINDOW) -> tuple[list[int], list[int
     return names, offsets
 
 
-def assign_windows(pieces: DataFrame, documents: int, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; ``documents`` sets the number of shards.
+def assign_windows(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """``pieces`` with ``sequence_id`` and ``offset``.
 
-    Pieces are dealt to shards by a hash of their place, so a document with very many windows spreads, and
-    each shard packs its own in a fixed order: a retried task gives the same windows.
+    The pieces are stored first, so that they are made once and the numbers given to them stay. Full windows keep
+    their place; the others go to shards in turn, by their place in the store, so that repeated rows part as well.
+    A shard packs its own in a fixed order: a retried task gives the same windows.
     """
-    shards = max(1, -(-documents // shard_docs))
+    stored = cut_lineage(pieces)
+    number = F.monotonically_increasing_id()
+    full = stored.where(F.col("length") == window).select("*", (2 * number + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = stored.where(F.col("length") < window)
+    shards = max(1, -(-rest.count() // shard_pieces))
     keys = [c for c in pieces.columns if c != "ids"]
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", *[c for c in keys if c != "length"]], ascending=[False, *[True] * (len(keys) - 1)], kind="stable")
         names, offsets = place(part["length"].tolist(), window)
-        part["sequence_id"] = [(key[0] << 32) + n for n in names]
+        part["sequence_id"] = [2 * ((key[0] << 32) + n) for n in names]
         part["offset"] = offsets
         return part.drop(columns="shard")
 
     fields = ", ".join(f"{c} {t}" for c, t in pieces.dtypes)
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("long"))
-    return dealt.groupBy("shard").applyInPandas(pack, f"{fields}, sequence_id long, offset long")
+    dealt = rest.withColumn("shard", F.pmod(number, F.lit(shards)).cast("long"))
+    return full.union(dealt.groupBy("shard").applyInPandas(pack, f"{fields}, sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids, doc_tokens, sequence_id, offset)`` of every document of ``docs``.
 
     Every id of a document, its closing id included, lies in exactly one piece. A null or empty text has
-    the closing id alone. Repeated rows are packed as often as they stand; rows with a null id are packed
-    too; an empty table gives an empty result; other columns are not read.
+    the closing id alone. Very long texts are cut into full windows, which are neither collected nor shuffled. At equal
+    lengths the smaller id is placed first. Repeated rows are packed as often as they stand; rows with a null id
+    are packed too; bytes that are no UTF-8 count as U+FFFD; an empty table gives an empty result; other columns
+    are not read.
     """
-    return assign_windows(tokenize(docs, id_col, text_col, window), docs.count(), window)
+    return assign_windows(tokenize(docs, id_col, text_col, window), window)
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = END_ID) -> DataFrame:
     """``(sequence_id, ids array<long>, mask array<int>)``: the windows themselves, padded unless a power of two long."""
 
-    def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        ids: list[int] = []
-        for raw in part.sort_values("offset")["ids"]:
-            ids += array("I", raw).tolist()
-        pad = 0 if len(ids) & (len(ids) - 1) == 0 else window - len(ids)
-        return pd.DataFrame({"sequence_id": [key[0]], "ids": [ids + [pad_id] * pad], "mask": [[1] * len(ids) + [0] * pad]})
-
-    return pieces.groupBy("sequence_id").applyInPandas(build, "sequence_id long, ids array<long>, mask array<int>")
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+        now, parts = None, []
+        for batch in batches:
+            for name, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name != now and parts:
+                    yield now, b"".join(parts)
+                    parts = []
+                now = name
+                parts.append(ids)
+        if parts:
+            yield now, b"".join(parts)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids, mask = [], [], []
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(mask, pa.list_(pa.int32()))], ["sequence_id", "ids", "mask"])
+            for x in (names, ids, mask):
+                x.clear()
+            return out
+
+        for name, raw in windows(batches):
+            own = array("I", raw).tolist()
+            pad = 0 if len(own) & (len(own) - 1) == 0 else window - len(own)
+            names.append(name)
+            ids.append(own + [pad_id] * pad)
+            mask.append([1] * len(own) + [0] * pad)
+            if len(names) == 256:
+                yield flush()
+        if names:
+            yield flush()
+
+    ordered = pieces.select("sequence_id", "offset", "ids").repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    return ordered.select("sequence_id", "ids").mapInArrow(build, "sequence_id long, ids array<long>, mask array<int>")

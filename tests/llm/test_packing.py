@@ -59,6 +59,31 @@ def test_sequences(spark):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_shards_are_bounded(spark):
+    """Long documents and very many equal rows: no shard has more than its bound, and padding stays small."""
+    long = spark.range(100).selectExpr("id as doc_id", "repeat('word ', 100000) as text")
+    same = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'the same few words in every row' as text")
+    seen = []
+    pieces = packing.tokenize(long.union(same).repartition(5)).drop("ids")
+    rows = packing.assign_windows(pieces, shard_pieces=500).collect()
+    sizes = {}
+    for r in rows:
+        if r["length"] < packing.WINDOW:
+            sizes[r["sequence_id"] >> 33] = sizes.get(r["sequence_id"] >> 33, 0) + 1
+        else:
+            assert r["sequence_id"] % 2 == 1 and r["offset"] == 0
+            seen.append(r["sequence_id"])
+    assert len(sizes) == 7 and max(sizes.values()) <= 500 + 5 and len(seen) == len(set(seen)) >= 9700
+    windows = len({r["sequence_id"] for r in rows})
+    assert sum(r["length"] for r in rows) / 1024 / windows > 0.98
+    assert sum(r["length"] for r in rows if r["doc_id"] == 7) == max(r["doc_tokens"] for r in rows)
+
+
+def test_broken_utf8(spark):
+    docs = spark.sql("select 1L as doc_id, cast(unhex('C3286162') as string) as text")
+    assert packing.pack_documents(docs).first()["doc_tokens"] == len(packing.token_bytes("\ufffd(ab")) // 4 + 1
+
+
 def test_best_fit():
     rng = random.Random(1)
     lengths = sorted((rng.randint(1, 1024) for _ in range(3000)), reverse=True)
