@@ -16,14 +16,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows of each language that training reads at most, and languages at most, by lowest hash.
-ROWS_PER_LANG, LANGS = 400, 64
+from larkspur.llm.common import cut_lineage, texts_of
+
+#: Labelled rows that training reads, by lowest hash: so many of each language at most, so many of all together
+#: as long as that leaves each language its least number. No language is left out.
+ROWS_PER_LANG, ROWS_OF_ALL, LEAST_ROWS = 400, 25_600, 20
+#: How far above chance the stage's least score lies, between 1 / languages and 1.
+ABOVE_CHANCE = 1 / 15
 #: Code points of the window that each of those rows gives.
 WINDOW_CHARS = 320
 #: Units of each direction; bytes of a segment in training and in prediction; segments run side by side.
 UNITS, TRAIN_BYTES, SEGMENT, SIDE = 8, 64, 256, 1024
 STEPS, BATCH, RATE = 150, 256, 0.02
 UNKNOWN = "und"
+#: Languages whose shares are broadcast at most; more are joined by a shuffle.
+BROADCAST_LANGS = 100_000
 
 
 @dataclass
@@ -228,28 +235,28 @@ def may_learn(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(lang, part)``: at most ``ROWS_PER_LANG`` rows of each of at most ``LANGS`` languages, by lowest hash.
+    """``(lang, part)``: a bounded number of rows of every language, by lowest hash.
 
     Counts by language set a hash bound that leaves a few times as many rows as needed; only those meet in the
     window that ranks them, so a frequent language sends no more rows there than a rare one.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     own = own.where(may_learn(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
-    if not sizes:
-        return own.select("lang", F.col("text").alias("part")).limit(0)
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, (2.0 * ROWS_PER_LANG + 50) / r["n"])))])[F.col("lang")]
-    order = F.xxhash64("id", "text")
-    few = own.withColumn("order", order).where((F.pmod("order", F.lit(1 << 40)) / float(1 << 40)) < share)
+    sizes = cut_lineage(own.groupBy("lang").agg(F.count("*").alias("n")))
+    langs = sizes.count()
+    rows = min(ROWS_PER_LANG, max(LEAST_ROWS, ROWS_OF_ALL // max(1, langs)))
+    shares = sizes.select("lang", F.least(F.lit(1.0), F.lit(2.0 * rows + 50) / F.col("n")).alias("share"))
+    shares = F.broadcast(shares) if langs <= BROADCAST_LANGS else shares
+    few = own.withColumn("order", F.xxhash64("id", "text")).join(shares, "lang").where((F.pmod("order", F.lit(1 << 40)) / float(1 << 40)) < F.col("share"))
     span = F.greatest(F.length("text") - WINDOW_CHARS, F.lit(0)) + 1
     few = few.select("lang", "order", F.substring("text", (F.pmod(F.col("order"), span) + 1).cast("int"), F.lit(WINDOW_CHARS)).alias("part"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "part"))
-    return few.withColumn("rank", rank).where(F.col("rank") <= ROWS_PER_LANG).select("lang", "part")
+    return few.withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", "part")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
-    """A network fitted on the bounded sample; what the driver receives is bounded by the constants above."""
-    rows = sorted((r["lang"], r["part"].encode()) for r in training_rows(docs, id_col, text_col, lang_col).collect())
+    """A network fitted on the sample: some 8 MB at the driver, and 6 kB for each language beyond 1,280."""
+    rows = sorted((r["lang"], bytes(r["part"])) for r in training_rows(docs, id_col, text_col, lang_col).select("lang", F.col("part").cast("binary").alias("part")).collect())
     return train([part for _, part in rows], [lang for lang, _ in rows])
 
 
@@ -257,15 +264,16 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
     """``docs`` with ``lang_pred`` and ``score`` in place of other columns but the id; map-side, no shuffle.
 
     A null text, one without a letter, and any text where nothing could be learned are ``und`` with score 0.
-    Repeated rows and null ids keep their rows; at equal probabilities the first language by name wins; an
-    empty table gives an empty result; other columns are not read.
+    Repeated rows and null ids keep their rows; at equal probabilities the first language by name wins; very long
+    texts are read whole, segment by segment; bytes that are no UTF-8 count as U+FFFD; an empty table gives an empty
+    result; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = part.column(1).to_pylist()
+                texts = texts_of(part.column(1))
                 known = [bool(x) and bool(net.langs) and has_letter(x) for x in texts]
                 p = probabilities(net, [x.encode() if k else b"" for x, k in zip(texts, known, strict=True)])
                 best = p.argmax(axis=1) if net.langs else np.zeros(len(texts), int)
@@ -285,20 +293,26 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with their own columns, whose language is known with a score of ``least`` or more.
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", above_chance: float = ABOVE_CHANCE) -> DataFrame:
+    """The rows of ``docs``, with their own columns, whose language is known well enough.
+
+    The least score is that of chance, one in so many languages as were learned, and ``above_chance`` of the way
+    from there to 1: 0.3 for four languages. It rejects little more than texts without letters: short clean texts
+    may score low. Where one language was learned, every text with a letter stays; where none was, no text does.
 
-    The default rejects little more than texts without letters: short clean texts may score low.
-    The predictor runs beside the rows, so no join is needed and repeated or null ids change nothing.
+    The predictor runs beside the rows, so no join is needed and repeated or null ids change nothing. Null texts
+    go; very long ones are read whole; an empty table gives an empty one; columns may have any names.
     """
     net = fit(docs, id_col, text_col, lang_col)
     names = docs.columns
+    chance = 1 / max(1, len(net.langs))
+    least = chance + above_chance * (1 - chance) - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = part.column(names.index(text_col)).to_pylist()
+                texts = texts_of(part.column(names.index(text_col)))
                 known = [bool(x) and bool(net.langs) and has_letter(x) for x in texts]
                 p = probabilities(net, [x.encode() if k else b"" for x, k in zip(texts, known, strict=True)])
                 good = [k and float(p[i].max()) >= least for i, k in enumerate(known)]

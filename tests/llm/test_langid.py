@@ -74,3 +74,18 @@ def test_edges(spark):
     assert langid.predict(df.limit(0)).count() == 0
     kept = langid.keep_identified(df)
     assert kept.columns == df.columns and not {2, 3, 4} & {r["doc_id"] for r in kept.collect()}
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ROWS_OF_ALL", 500)
+    rows = [(k, f"w{k % 80} text {k}", f"l{k % 80}") for k in range(6000)] + [(k, "rare", "rare") for k in range(6000, 6003)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = {r["lang"]: r["count"] for r in langid.training_rows(df).groupBy("lang").count().collect()}
+    assert set(n) == {r[2] for r in rows} and {v for k, v in n.items() if k != "rare"} == {langid.LEAST_ROWS}
+    monkeypatch.setattr(langid, "BROADCAST_LANGS", 3)
+    assert {r["lang"]: r["count"] for r in langid.training_rows(df).groupBy("lang").count().collect()} == n
+
+
+def test_broken_utf8(spark):
+    docs = spark.sql("select 1L as doc_id, cast(unhex('C328616263') as string) as text, 'en' as lang union all select 2L, 'hello', 'en'")
+    assert {r["lang_pred"] for r in langid.predict(docs).collect()} <= {"en", "und"} and langid.keep_identified(docs).count() <= 2
