@@ -1,9 +1,9 @@
 """URL filters: a blocked Bloom filter of listed URLs in front of an exact hash join. DataFrame functions only.
 
 The filter is a table of 64-bit blocks. A listed URL sets a few bits of one block, a page looks at one block,
-so the probe is one equi-join with the blocks. Their number is fixed in advance, which bounds what is
-broadcast whatever the length of the list; a longer list lets more pages through to the exact join, which
-decides alone.
+so the probe is one equi-join with the blocks. Their number follows from the list's, so that the filter stays
+as selective at any length; it is broadcast up to a stated number of blocks, and beyond that pages meet their
+block in a shuffled hash join. What passes meets the list itself, which decides alone.
 """
 
 from __future__ import annotations
@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks of the filter: 2**16 rows of a long and an int, some 2 MB when broadcast, at any length of the list.
-BLOCKS = 1 << 16
+from larkspur.llm.common import cut_lineage
+
+#: Bits of the filter for each listed URL, which let through one page in some 50 that are not listed, and the least number of blocks.
+BITS_PER_URL, LEAST_BLOCKS = 12, 1 << 10
+#: Blocks that are broadcast at most: a million rows of two longs, some 50 MB as a hash table, for 5.6 million URLs.
+BROADCAST_BLOCKS = 1 << 20
 #: Bits that one URL sets in its block.
 BITS = 4
 
@@ -47,7 +51,7 @@ def best_rule(host: Column, path: Column, rules: tuple = RULES) -> Column:
 
 
 def _block(url: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(url), F.lit(blocks)).cast("int")
+    return F.pmod(F.xxhash64(url), F.lit(blocks))
 
 
 def _mask(url: Column) -> Column:
@@ -61,29 +65,37 @@ def _mask(url: Column) -> Column:
     return out
 
 
-def bloom_blocks(listed: DataFrame, url_col: str = "url", blocks: int = BLOCKS) -> DataFrame:
+def bloom_blocks(listed: DataFrame, url_col: str, blocks: int) -> DataFrame:
     """``(block, word)`` of the listed canonical URLs: at most ``blocks`` rows."""
     url = F.col(url_col)
     return listed.where(url.isNotNull()).groupBy(_block(url, blocks).alias("block")).agg(F.bit_or(_mask(url)).alias("word"))
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, blocks: int = BLOCKS) -> DataFrame:
+def judge_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, blocks: int | None = None) -> DataFrame:
     """``(page_id, host, path, rule, verdict, listed)`` for every row of ``pages``.
 
     ``listed`` has a column ``url`` of canonical URLs; nulls in it are ignored and repeats count once. The
     verdict is that of the longest fitting rule, else ``block`` for a listed URL, else ``allow``. A null URL,
-    or one without ``://``, has an empty host and path, fits no rule, is not listed and is allowed. Repeated
-    rows and null ids keep their rows; an empty table gives an empty result; other columns are not read.
+    or one without ``://``, has an empty host and path, fits no rule, is not listed and is allowed. A very long URL
+    is judged whole; rules of one length cannot both fit. Repeated rows and null ids keep their rows; an empty
+    table gives an empty result, an empty list blocks nothing; other columns are not read.
+
+    The list is stored once, which gives its count for the filter's size. Pages are read twice, their URLs
+    only: those that the filter passes, to meet the list, and those that it clears, which are not shuffled.
     """
+    exact = cut_lineage(listed.where("url is not null").select(F.col("url").alias("key")).distinct())
+    blocks = blocks or max(LEAST_BLOCKS, -(-exact.count() * BITS_PER_URL // 64))
+    bloom = bloom_blocks(exact, "key", blocks)
+    bloom = F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom.hint("shuffle_hash")
     url = F.col(url_col).cast("string")
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     own = own.withColumns({"key": canonical(F.col("host"), F.col("path")), "best": best_rule(F.col("host"), F.col("path"), rules)})
-    own = own.withColumns({"block": F.coalesce(_block(F.col("key"), blocks), F.lit(-1)), "mask": _mask(F.col("key"))})
-    probed = own.join(F.broadcast(bloom_blocks(listed, "url", blocks)), "block", "left")
+    # A page without a key looks for a block of its own that does not exist, each another one.
+    own = own.withColumns({"block": F.coalesce(_block(F.col("key"), blocks), -1 - F.abs(F.xxhash64("page_id") % 1_000_003)), "mask": _mask(F.col("key"))})
+    probed = own.join(bloom, "block", "left")
     possible = F.col("key").isNotNull() & F.coalesce(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
-    exact = listed.where("url is not null").select(F.col("url").alias("key")).distinct().withColumn("listed", F.lit(True))
     out = ["page_id", "host", "path", "best", F.coalesce("listed", F.lit(False)).alias("listed")]
-    passed = probed.where(possible).select("page_id", "host", "path", "best", "key").join(exact, "key", "left").select(*out)
+    passed = probed.where(possible).select("page_id", "host", "path", "best", "key").join(exact.withColumn("listed", F.lit(True)).hint("shuffle_hash"), "key", "left").select(*out)
     clear = probed.where(~possible).withColumn("listed", F.lit(False)).select(*out)
     verdict = F.coalesce("best.verdict", F.when(F.col("listed"), "block").otherwise("allow"))
     return passed.union(clear).select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "listed")
