@@ -20,9 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import texts_of
+
 MODEL = "piece_bpe_32k.model"
 #: Parts whose count a Python worker remembers at most, and the longest that it remembers.
 REMEMBERED, LONGEST = 600_000, 64
+#: Rows unpacked together.
+ROWS = 512
 
 
 @lru_cache(maxsize=2)
@@ -110,7 +114,8 @@ def _parts(model: str) -> Parts:
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """``(doc_id, n_tokens)`` for every row of ``docs``; map-side, no shuffle.
 
-    A null or empty text has no tokens; repeated rows and null ids keep their rows; an empty table gives
+    A null or empty text has no tokens; a very long one is counted whole, a word at a time; ties go as the module
+    says; repeated rows and null ids keep their rows; bytes that are no UTF-8 count as U+FFFD; an empty table gives
     an empty result; other columns are not read. ``model`` is a file's path, which must exist on the executors,
     or the name of a public vocabulary.
     """
@@ -118,7 +123,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = _parts(model)
         for batch in batches:
-            counts = pa.array([parts.count(x.as_py()) for x in batch.column(1)], pa.int64())
+            counts = pa.array([parts.count(x) for at in range(0, batch.num_rows, ROWS) for x in texts_of(batch.column(1).slice(at, ROWS))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts], ["doc_id", "n_tokens"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -48,3 +48,8 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, None, 9), (None, "a b", 9), (2, "", 9), (2, "", 9)], "doc_id long, text string, n_tokens int")
     assert sorted(tuple(r) for r in token_counts.count_tokens(df).na.fill(-1).collect()) == [(-1, 2), (1, 0), (2, 0), (2, 0)]
     assert token_counts.count_tokens(df.limit(0)).count() == 0
+
+
+def test_broken_utf8(spark):
+    docs = spark.sql("select 1L as doc_id, cast(unhex('C3286162') as string) as text union all select 2L, '\ufffd(ab'")
+    assert len({r["n_tokens"] for r in token_counts.count_tokens(docs).collect()}) == 1
