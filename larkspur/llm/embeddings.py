@@ -260,7 +260,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     named = classes.join(links, "id", "left").join(roots, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(lowest, "component").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    # Rows meet their class again by its content, which equal vectors share.
-    linked = whole.join(named, ["label", "vector"]).select("vec_id", "n_links", "component_id")
+    # Rows meet their class again by its content, which equal vectors share; hashed, as arrays are slow to sort.
+    linked = whole.join(named.hint("shuffle_hash"), ["label", "vector"]).select("vec_id", "n_links", "component_id")
     alone = own.where(~fit_for_links).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
