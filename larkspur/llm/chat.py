@@ -28,8 +28,9 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     """``(conv_id, formatted)`` for every conversation: its turns by number, adjacent turns of a role merged.
 
     Ties of a turn number go by role, then text; a null turn number sorts first; a null role or text
-    is empty; rows whose conversation is null form one conversation; repeated rows are repeated turns; an empty
-    table gives an empty result; other columns are not read. Merged turns keep a separator, so the output
+    is empty; rows whose conversation is null form one conversation; repeated rows are repeated turns; a very long
+    text is one value, and a conversation one row, as its format asks; an empty table gives an empty result; other
+    columns are not read. Merged turns keep a separator, so the output
     still tells them apart.
     """
     own = turns.select(

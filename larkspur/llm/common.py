@@ -2,57 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.session import exists, scratch, shared_folder
+
+__all__ = ["cut_lineage", "exists", "free_name", "scratch", "shared_folder", "table", "texts_of"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark touches the path, so any store it can read will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _path(spark: SparkSession, path: str):
-    """A path in whatever store it names, and that store."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    place, store = _path(spark, path)
-    return store.exists(place)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session (tests, a laptop), whose executors are the driver, takes a temporary
-    one, and any other session is an error. The application's own checkpoints are removed when it ends.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="larkspur-checkpoints-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    place, store = _path(spark, context.getCheckpointDir())
-    store.deleteOnExit(place)
-    return folder
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for the tables of one run, in the shared folder; it is removed when the application ends."""
-    path = f"{shared_folder(spark)}/larkspur-{name}-{uuid.uuid4().hex}"
-    place, store = _path(spark, path)
-    store.mkdirs(place)
-    store.deleteOnExit(place)
-    return path
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)

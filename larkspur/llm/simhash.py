@@ -96,9 +96,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     component_id is the smallest doc_id reachable over fingerprints that differ in ``radius`` bits or fewer.
     Copies share a fingerprint, which takes part once, so a hot group of copies costs nothing after the
-    first aggregation. Null or blank texts have fingerprint zero and are linked like any other; rows
-    with a null doc_id keep their row and are ignored when the smallest id is chosen; an empty table gives an
-    empty result; other columns of ``docs`` are not read.
+    first aggregation. Null or blank texts have fingerprint zero and are linked like any other; very long texts
+    are hashed whole, a slice at a time; a bit set in just half of the hashes is 0; repeated rows keep their rows and
+    share a component; rows with a null doc_id keep their row and are ignored when the smallest id is chosen; an
+    empty table gives an empty result; other columns of ``docs`` are not read.
     """
     marked = cut_lineage(fingerprints(docs, id_col, text_col))
     distinct_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
@@ -113,7 +114,8 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     It is the row of the smallest id, a null id last, and of these that of the smallest ``row_key``; so rows whose
     id is null stay only if no group member has an id, and groups without ids or with one id keep a row each.
-    Rows that share id and text are one document, which leaves one row.
+    Rows that share id and text are one document, which leaves one row. Null and blank texts are near each other;
+    very long texts are hashed whole; an empty table gives an empty one; columns may have any names.
     """
     key = free_name(docs, "row_key")
     keyed = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))

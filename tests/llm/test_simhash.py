@@ -4,7 +4,7 @@ import re
 import pytest
 import xxhash
 
-from larkspur.llm import simhash
+from larkspur.llm import queries, simhash
 from larkspur.llm.components import connected_components
 
 
@@ -69,6 +69,16 @@ def test_groups(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(low.values())
 
 
+def test_query_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    fps = [slow_fingerprint(d["text"]) for d in docs]
+    low, roots = {}, components(fps)
+    for d, r in zip(docs, roots, strict=True):
+        low[r] = min(low.get(r, d["doc_id"]), d["doc_id"])
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op4_simhash(spark, sf).collect()}
+    assert got == {d["doc_id"]: (f"{f:016x}", low[r]) for d, f, r in zip(docs, fps, roots, strict=True)}
+
+
 def test_null_ids_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (4, "q r s t u")], "doc_id long, text string")
     assert {r["component_id"] for r in simhash.simhash_components(df).collect()} == {None, 4}
