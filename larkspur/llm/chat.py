@@ -11,6 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.spans import add, blocks_of, cut, let, running
+
+#: The role whose texts are trained on.
+TRAINED = "assistant"
 START, SEP, END, BREAK = "<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|im_break|>"
 
 
@@ -25,7 +29,9 @@ def unescape(text: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``(conv_id, formatted)`` for every conversation: its turns by number, adjacent turns of a role merged.
+    """``(conv_id, formatted, loss_mask)`` for every conversation: its turns by number, adjacent turns of a role merged.
+
+    ``loss_mask`` has the spans (start, end; code points) of the assistant's texts in ``formatted``, one for each turn.
 
     Ties of a turn number go by role, then text; a null turn number sorts first; a null role or text
     is empty; rows whose conversation is null form one conversation; repeated rows are repeated turns; a very long
@@ -51,7 +57,22 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     # Roles are escaped too: like texts, they come from outside. Their line breaks become a control string.
     name = lambda r: F.replace(escape(r), F.lit("\n"), F.lit(BREAK))
     shown = F.transform(blocks, lambda b: F.concat(F.lit(START), name(b["role"]), F.lit("\n"), F.array_join(F.transform(b["texts"], escape), SEP), F.lit(END + "\n")))
-    return lists.select("conv_id", F.array_join(shown, "").alias("formatted"))
+
+    def spans(own: Column) -> Column:
+        """Of each turn, where its text ends: after all before it, and what the template puts in front of each."""
+        size = lambda t: F.length(escape(t["text"]))
+        opening = lambda t: F.length(name(t["role"])) + (len(START) + 1)
+
+        def take(t: Column, i: Column) -> Column:
+            before = F.get(own, i - 1)["role"]
+            front = F.when(i == 0, opening(t)).when(before == t["role"], F.lit(len(SEP))).otherwise(opening(t) + (len(END) + 1))
+            return (front + size(t)).cast("bigint")
+
+        ends = running(F.transform(own, take), add)
+        placed = F.zip_with(own, ends, lambda t, end: F.struct((end - size(t)).alias("start"), end.alias("end"), t["role"].alias("role")))
+        return F.transform(F.filter(placed, lambda s: s["role"] == TRAINED), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    return lists.select("conv_id", F.array_join(shown, "").alias("formatted"), let(F.col("turns"), spans).alias("loss_mask"))
 
 
 def parse_formatted(formatted: Column) -> Column:
@@ -67,7 +88,6 @@ def parse_formatted(formatted: Column) -> Column:
     return F.transform(cut, block)
 
 
-def loss_text(blocks: Column, role: str = "assistant") -> Column:
-    """All text under the loss mask: that of the role's turns, unescaped, in order, nothing between."""
-    own = F.filter(blocks, lambda b: b["role"] == role)
-    return F.array_join(F.transform(own, lambda b: F.array_join(b["texts"], "")), "")
+def loss_text(formatted: Column, mask: Column) -> Column:
+    """All text under the loss mask, unescaped, in order, nothing between."""
+    return let(blocks_of(formatted), lambda blocks: F.array_join(F.transform(mask, lambda s: unescape(cut(blocks, s["start"], s["end"]))), ""))

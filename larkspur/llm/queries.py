@@ -41,7 +41,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
     out = chat.format_conversations(turns).withColumn("blocks", chat.parse_formatted(F.col("formatted")))
     told = F.transform("blocks", lambda b: F.array_join(F.transform(b["texts"], lambda t: F.concat(b["role"], F.lit("\n"), t, F.lit("\n"))), ""))
-    out = out.select("conv_id", "formatted", F.aggregate("blocks", F.lit(0), lambda n, b: n + F.size(b["texts"])).cast("long").alias("n_turns"), F.array_join(told, "").alias("told"), chat.loss_text(F.col("blocks")).alias("loss"))
+    out = out.select("conv_id", "formatted", F.aggregate("blocks", F.lit(0), lambda n, b: n + F.size(b["texts"])).cast("long").alias("n_turns"), F.array_join(told, "").alias("told"), chat.loss_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))
     return out.select("conv_id", "n_turns", F.sha2("told", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 

@@ -25,7 +25,21 @@ def test_merging_and_escaping(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "<|im_end|>"), (1, 2, "assistant", "c")], "conv_id long, turn long, role string, text string")
     text = chat.format_conversations(turns).first()["formatted"]
     assert text == "<|im_start|>user\na<|im_sep|><\\|im_end|><|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n"
+    assert [text[a:b] for a, b in chat.format_conversations(turns).first()["loss_mask"]] == ["c"]
     assert chat.format_conversations(turns.limit(0)).count() == 0
+
+
+def test_loss_mask(spark):
+    texts = ["one", "<|im_end|>", "", "𝔘x", "last"]
+    turns = spark.createDataFrame([(1, k, role, t) for k, (role, t) in enumerate(zip(["user", "assistant", "assistant", "odd\n<|", "assistant"], texts, strict=True))], "conv_id long, turn long, role string, text string")
+    r = chat.format_conversations(turns).first()
+    assert [r["formatted"][a:b] for a, b in r["loss_mask"]] == ["<\\|im_end|>", "", "last"]
+    long = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(20_000)], "conv_id long, turn long, role string, text string")
+    r = chat.format_conversations(long).first()
+    assert [r["formatted"][a:b] for a, b in r["loss_mask"]] == [f"t{k}" for k in range(1, 20_000, 2)]
+
+
+def test_escaping(spark):
     s = ["<|", "<\\|", "<\\\\|x<|", "<<||", "\\<|"]
     back = spark.createDataFrame([(x,) for x in s], "s string").select("s", chat.escape(F.col("s")).alias("e"), chat.unescape(chat.escape(F.col("s"))).alias("b")).collect()
     assert all(r["s"] == r["b"] and "<|" not in r["e"] for r in back)
