@@ -11,10 +11,19 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import cut_lineage
 
 
+#: Nodes that a task remembers at most before it returns their stars and starts anew.
+REMEMBERED = 1_000_000
+
+
 def spanning_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Replace one partition's links by stars that join the same nodes: fewer links, same components."""
     parent: dict[int, int] = {}
 
+    def stars() -> Iterator[pd.DataFrame]:
+        own = [(x, top) for x in list(parent) if x != (top := root(x))]
+        for at in range(0, len(own), 50_000):
+            yield pd.DataFrame(own[at : at + 50_000], columns=["u", "v"])
+
     def root(x: int) -> int:
         top = x
         while (up := parent.setdefault(top, top)) != top:
@@ -28,10 +37,10 @@ def spanning_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    stars = [(x, root(x)) for x in parent]
-    stars = [(x, top) for x, top in stars if x != top]
-    for at in range(0, len(stars), 50_000):
-        yield pd.DataFrame(stars[at : at + 50_000], columns=["u", "v"])
+        if len(parent) > REMEMBERED:
+            yield from stars()
+            parent.clear()
+    yield from stars()
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
