@@ -30,7 +30,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces that meet in one shard of the placement: so many and one for each partition of the stored pieces at most.
 SHARD_PIECES = 8192
 #: Words whose ids a Python worker remembers at most.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 _BROKEN = re.compile(r" (?=\s)| $")
 _CUT = re.compile(r" (?=\S)")
