@@ -5,7 +5,8 @@ give the base spans, which always count. A candidate's weak label comes from wha
 ranges of parts, a country prefix, a domain; what proves neither (obfuscated addresses, numbers of unusual length or
 prefix) has no label. None of these checks is a feature: the boosted trees see lengths, separators and the words
 around, so they tell the label from format and context, and decide about candidates with and without one alike. They
-learn from a bounded sample; a threshold for each kind is calibrated on held-out candidates. Candidates that
+learn from every different candidate of all texts but a fifth, which is held out to calibrate a threshold for each
+kind; candidates of the same features are one row with a weight. Candidates that
 reach it are added, and redaction takes out both. The trees are written out as one Spark expression, so scoring is
 map-side and shuffles nothing.
 """
@@ -23,7 +24,7 @@ from larkspur.llm.common import cut_lineage, free_name
 from larkspur.llm.spans import SPANS, blocks_of, cut, find_spans, free_of, let, replace_spans
 
 KINDS = ("email", "ip", "card", "phone")
-#: Different candidates that training reads at most: of each kind and label those whose content hashes lowest.
+#: Different candidates of ``labelled_sample`` at most: of each kind and label those whose content hashes lowest.
 SAMPLE = 6_000
 #: Precision on held-out candidates that a threshold must reach.
 PRECISION = 0.995
@@ -144,18 +145,23 @@ def _scored(model: GBTClassificationModel, kind: str) -> Callable[[Column], Colu
     return lambda c: F.struct(F.lit(kind).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), model_score(model, c["features"]).alias("score"))
 
 
+def labelled_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(kind, hit, features, label, order)`` of every different labelled candidate of all texts; copies count once."""
+    text = F.col(text_col).cast("string")
+    each = F.concat(*[F.when(text.rlike(NEEDS[k]), F.transform(candidates(text, k), _with_kind(k))).otherwise(F.array()) for k in KINDS])
+    rows = docs.where(text.rlike("[0-9@]")).select(F.explode(each).alias("c")).select("c.*").where("label is not null")
+    order = F.xxhash64("kind", "hit", F.array_join(F.col("features").cast("array<string>"), ","))
+    return rows.withColumn("order", order).distinct()
+
+
 def labelled_sample(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` different labelled candidates of all texts, with a tenth-number.
+    """At most ``sample`` different labelled candidates of all texts, with a tenth-number, to look at; ``fit`` takes all.
 
     Copies count once. Kinds and labels take turns, each in the order of its candidates' hashes, so that a rare one
     is whole before a common one takes its place. ``total`` has the number of different candidates of the row's
     kind and label in all texts.
     """
-    text = F.col(text_col).cast("string")
-    each = F.concat(*[F.when(text.rlike(NEEDS[k]), F.transform(candidates(text, k), _with_kind(k))).otherwise(F.array()) for k in KINDS])
-    rows = docs.where(text.rlike("[0-9@]")).select(F.explode(each).alias("c")).select("c.*").where("label is not null")
-    order = F.xxhash64("kind", "hit", F.array_join(F.col("features").cast("array<string>"), ","))
-    rows = rows.withColumn("order", order).distinct()
+    rows = labelled_candidates(docs, text_col)
     place = F.row_number().over(Window.partitionBy("kind", "label").orderBy("order", "hit"))
     taken = rows.withColumn("place", place).where(F.col("place") <= sample).orderBy("place", "order", "kind", "hit").limit(sample)
     totals = rows.groupBy("kind", "label").agg(F.count("*").alias("total"))
@@ -179,24 +185,26 @@ def model_score(model: GBTClassificationModel, features: Column) -> Column:
     return 1 / (1 + F.exp(-2 * total))
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, precision: float = PRECISION) -> tuple[GBTClassificationModel | None, dict[str, float]]:
-    """The trees and a threshold for each kind; no trees where the sample lacks one of the classes.
+def fit(docs: DataFrame, text_col: str = "text", precision: float = PRECISION) -> tuple[GBTClassificationModel | None, dict[str, float]]:
+    """The trees and a threshold for each kind, from all texts; no trees where the candidates lack one of the classes.
 
-    A kind's threshold is the least score, in hundredths, from which the held-out fifth of its candidates
-    is positive in the asked share; a kind without held-out candidates adds no span. As labels are sampled apart,
-    a held-out candidate counts for as many as all texts have of its kind and label for each one held out.
+    A kind's threshold is the least score, in hundredths, from which the held-out fifth of its different
+    candidates is positive in the asked share; a kind without held-out candidates adds no span. In training each kind
+    and label weighs the same, however many candidates it has, so that the rare ones are learned too.
     """
-    rows = cut_lineage(labelled_sample(docs, text_col, sample).withColumn("vector", array_to_vector("features")).coalesce(1))
-    held = F.col("tenth") < 2
-    if rows.where(~held).select("label").distinct().count() < 2:
+    counts = labelled_candidates(docs, text_col).groupBy("kind", "label", "features", (F.pmod(F.col("order"), F.lit(10)) < 2).alias("held")).agg(F.count("*").alias("n"))
+    rows = cut_lineage(counts)
+    learned = rows.where("not held")
+    totals = learned.groupBy("kind", "label").agg(F.sum("n").alias("total"))
+    if totals.select("label").distinct().count() < 2:
         return None, {}
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=8, maxDepth=3, stepSize=0.3, seed=7).fit(rows.where(~held))
-    shares = rows.where(held).groupBy("kind", "label").agg((F.max("total") / F.count("*")).alias("share"))
-    scored = rows.where(held).join(F.broadcast(shares), ["kind", "label"]).select("kind", "label", "share", F.floor(100 * model_score(model, F.col("features"))).alias("bin"))
+    weighted = learned.join(F.broadcast(totals), ["kind", "label"]).withColumn("weight", F.col("n") * F.lit(1000.0) / F.col("total")).withColumn("vector", array_to_vector("features"))
+    model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=8, maxDepth=3, stepSize=0.3, seed=7).fit(weighted)
+    scored = rows.where("held").select("kind", "label", "n", F.floor(100 * model_score(model, F.col("features"))).alias("bin"))
     thresholds: dict[str, float] = {}
-    counts = scored.groupBy("kind", "bin").agg(F.sum(F.col("label") * F.col("share")).alias("hits"), F.sum("share").alias("n")).orderBy("kind", F.desc("bin")).collect()
+    bins = scored.groupBy("kind", "bin").agg(F.sum(F.col("label") * F.col("n")).alias("hits"), F.sum("n").alias("n")).orderBy("kind", F.desc("bin")).collect()
     sums: dict[str, tuple[float, float]] = {}
-    for r in counts:  # at most four kinds times 101 bins
+    for r in bins:  # at most four kinds times 101 bins
         hits, n = sums.get(r["kind"], (0.0, 0.0))
         hits, n = sums[r["kind"]] = hits + r["hits"], n + r["n"]
         if hits >= precision * n:
@@ -221,7 +229,7 @@ def _at_least(threshold: float) -> Callable[[Column], Column]:
     return lambda c: c["score"] >= threshold
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, fitted: tuple | None = None) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fitted: tuple | None = None) -> DataFrame:
     """``(doc_id, email, ip, card, phone, added)`` for every row of ``docs``.
 
     The four columns hold base spans (start, end, hit, part); ``added`` holds (kind, start, end, score) of
@@ -233,11 +241,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    base, added = _spans("text", {k: k for k in KINDS}, fitted or fit(docs, text_col, sample))
+    base, added = _spans("text", {k: k for k in KINDS}, fitted or fit(docs, text_col))
     return own.withColumns(base).select("doc_id", *KINDS, added.alias("added"))
 
 
-def redact_pii(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, fitted: tuple | None = None) -> DataFrame:
+def redact_pii(docs: DataFrame, text_col: str = "text", fitted: tuple | None = None) -> DataFrame:
     """``docs``, same rows and columns, with base and added spans of the text replaced by ``[kind]``; no shuffle.
 
     Of spans that overlap, the first is named and all go. Texts without spans, null and empty ones included, stay
@@ -245,7 +253,7 @@ def redact_pii(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, fi
     """
     names = {k: free_name(docs, f"pii_{k}") for k in KINDS}
     more, text = free_name(docs, "pii_added"), F.col(f"`{text_col}`")
-    base, added = _spans(text_col, names, fitted or fit(docs, text_col, sample))
+    base, added = _spans(text_col, names, fitted or fit(docs, text_col))
     shape = lambda kind: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind"))
     named = lambda k: F.transform(F.col(names[k]), shape(lambda s: F.lit(k)))
     found = docs.withColumns(base).withColumn(more, added)

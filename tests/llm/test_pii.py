@@ -124,3 +124,24 @@ def test_nothing_to_learn(spark, docs):
 def test_own_table(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     check(queries.op5_pii(spark, sf).collect(), texts)
+
+
+def test_every_candidate_counts(spark):
+    """The trees learn from all candidates that are not held out, twice as many as the sample has room for."""
+    good = spark.range(12_000).select("id", F.format_string("see n%d@mail.example.org", "id").alias("text"))
+    bad = spark.range(12_000, 12_400).select("id", F.format_string("see n%d@mail.x9", "id").alias("text"))
+    docs = good.union(bad).withColumnRenamed("id", "doc_id")
+    seen, own = [], pii.GBTClassifier
+
+    class Watched(own):
+        def fit(self, dataset, params=None):
+            seen.append({(r["kind"], r["label"]): r["n"] for r in dataset.groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()})
+            return super().fit(dataset, params)
+
+    pii.GBTClassifier = Watched
+    try:
+        pii.fit(docs)
+    finally:
+        pii.GBTClassifier = own
+    tenths = {r["label"]: r["n"] for r in pii.labelled_candidates(docs).where("pmod(order, 10) >= 2").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert seen == [{("email", k): n for k, n in tenths.items()}] and tenths[1.0] > 9_000 and tenths[0.0] > 250
